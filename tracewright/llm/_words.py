@@ -53,13 +53,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the offset of each row's first word (one more than rows)."""
+def words(column: pa.Array, separates: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the offset of each row's first word (one more than rows).
+
+    separates: for each byte whether it stands between words.
+    """
     raw, at = text_bytes(column)
     n = len(raw)
     if not n:
         return np.zeros(0, U), np.zeros(len(at), np.int64)
-    space = _SPACE[raw]
+    space = separates[raw]
     after = np.empty(n, bool)
     after[0] = True
     after[1:] = space[:-1]
