@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import langid, line_dedup, minhash, mixing, spotsigs, token_counts, toxicity, word_bpe
+from tracewright.llm import ego_join, langid, line_dedup, minhash, mixing, spotsigs, token_counts, toxicity, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
     return gone.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
     "op5_bpe": op5_bpe,
+    "op6_ego_join": op6_ego_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
