@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import ego_join, langid, line_dedup, minhash, mixing, spotsigs, token_counts, toxicity, word_bpe
+from tracewright.llm import ego_join, langid, line_dedup, minhash, mixing, spotsigs, substring_dedup, token_counts, toxicity, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_and_next(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_spotsigs": op2_spotsigs,
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
