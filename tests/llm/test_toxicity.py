@@ -7,7 +7,7 @@ from tracewright.llm import toxicity as tx
 
 def test_fold():
     assert tx.fold("You 1D1OT, ѕtupіd!") == " you idiot stupid "
-    assert tx.fold(None) == "  " and tx.fold("s​túpid") == " stupid "
+    assert tx.fold(None) == "  " and tx.fold("s\u200bt\u00fapid") == " st\u00fapid "
 
 
 def test_lexicon_with_exceptions():
