@@ -21,16 +21,13 @@ def session_activity(events: DataFrame, gap: str = "30 minutes", late: str = "1
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "n_items")
 
 
-def error_fixes(events: DataFrame, session: str = "session", idle_ms: int = 3_600_000) -> DataFrame:
+def error_fixes(events: DataFrame, session: str = "session") -> DataFrame:
     """(session, err, fix, ord) as calls arrive; columns session, ord, kind ('use' or 'err'), item.
 
-    State is the tool of the last unanswered error; it goes after ``idle_ms`` without events.
+    State is the tool of the last unanswered error, for sessions that have one; a call removes it.
     """
 
     def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         failed = state.get[0] if state.exists else None
         rows = []
         for frame in frames:
@@ -45,8 +42,7 @@ def error_fixes(events: DataFrame, session: str = "session", idle_ms: int = 3_60
                 state.remove()
         else:
             state.update((failed,))
-            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["session", "err", "fix", "ord"])
 
     kind = events.schema[session].dataType.simpleString()
-    return events.groupBy(session).applyInPandasWithState(pair, f"session {kind}, err string, fix string, ord bigint", "failed string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(session).applyInPandasWithState(pair, f"session {kind}, err string, fix string, ord bigint", "failed string", "append", GroupStateTimeout.NoTimeout)
