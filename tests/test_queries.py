@@ -22,7 +22,7 @@ def con():
 
 
 def _shown(row):
-    return tuple(repr(round(v, 6)) if isinstance(v, float) else repr(v) for v in row)
+    return tuple(repr(round(v, 6)) if isinstance(v, float) else repr(v) for v in row)  # repr: a decimal is no float
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

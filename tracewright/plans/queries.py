@@ -69,7 +69,7 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select(F.array_join("gram", " > ").alias("gram"), "sessions", "occurrences")
 
 
-@query(GRAMS_SQL.format(calls=EVENT_CALLS) + "SELECT array_to_string(gram, ' > ') AS gram, sessions, occurrences, round(sessions * len(gram) * 0.7, 2) AS score FROM frequent")
+@query(GRAMS_SQL.format(calls=EVENT_CALLS) + "SELECT array_to_string(gram, ' > ') AS gram, sessions, occurrences, round(sessions * len(gram) * CAST(0.7 AS DOUBLE), 2) AS score FROM frequent")
 def seq_ngram_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent sequences of the event table with their scores."""
     found = sq.support(sq.ngrams(event_calls(spark, sf_dir), order=ORDER))
