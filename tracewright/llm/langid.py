@@ -35,7 +35,7 @@ _GAP = re.compile(r"[\W\d_]+")
 def ngram_counts(text: str | None) -> np.ndarray | None:
     """Counts of hashed n-grams; None without a letter."""
     letters = _GAP.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):
         return None
     a = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32)
     two = a[:-1] * np.uint32(0x9E3779B1) + a[1:]

@@ -82,4 +82,27 @@ QUERIES = {
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """
+, reach AS (SELECT id, id AS r FROM nodes UNION SELECT reach.id, e.b FROM reach JOIN edges e ON reach.r = e.a),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked), nodes AS (SELECT doc_id AS id FROM documents)"""
+    + _REACH
+    + "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least ON least.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id",
+    "op6_ego_join": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+linked AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked), nodes AS (SELECT vec_id AS id FROM embeddings)"""
+    + _REACH
+    + "SELECT vec_id, count(a) AS n_links, any_value(component_id) AS component_id, any_value(vec_id = component_id) AS kept FROM embeddings JOIN least ON least.id = vec_id LEFT JOIN edges ON a = vec_id GROUP BY vec_id",
+}
