@@ -99,7 +99,7 @@ def weigh(automaton, folded: str) -> float:
 #: Shortest and longest word beginnings that can be entries.
 BEGINNINGS = range(3, 9)
 #: An entry needs this many toxic documents, this weight and this log-likelihood ratio.
-LEAST_DOCS, LEAST_WEIGHT, LEAST_EVIDENCE = 4, 1.5, 34.0
+LEAST_DOCS, LEAST_WEIGHT, LEAST_EVIDENCE = 4, 1.5, 24.0
 #: Candidates considered, by the number of toxic documents they occur in.
 MOST_CANDIDATES = 60_000
 
