@@ -104,14 +104,9 @@ LEAST_DOCS, LEAST_WEIGHT, LEAST_EVIDENCE = 4, 1.5, 24.0
 MOST_CANDIDATES = 60_000
 
 
-def features(folded: str) -> Counter[str]:
-    words = Counter(folded.split())
-    found = Counter({f" {w} ": k for w, k in words.items()})
-    for n in BEGINNINGS:
-        for w, k in words.items():
-            if len(w) >= n:
-                found[" " + w[:n]] += k
-    return found
+def forms(word: str) -> list[str]:
+    """The entries that a word can stand for: itself and its beginnings."""
+    return [f" {word} ", *(" " + word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
 def family(text: str | None) -> int:
@@ -134,14 +129,23 @@ def _counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     """(feature, n, times): in how many rows each feature occurs, and how often altogether."""
 
     def run(batches):
-        for batch in text_batches(batches, "text"):
+        known: dict[str, list[str]] = {}  # word -> its wanted forms
+        for batch in text_batches(batches, "text", 1 << 19):
             seen: dict[str, list[int]] = {}
+            if len(known) > 100_000:
+                known.clear()
             for text in batch.column(0).to_pylist():
-                found = features(fold(text))
-                for f in found if wanted is None else found.keys() & wanted:
+                found: dict[str, int] = {}
+                for word, times in Counter(fold(text).split()).items():
+                    own = known.get(word)
+                    if own is None:
+                        own = known[word] = forms(word) if wanted is None else [f for f in forms(word) if f in wanted]
+                    for f in own:
+                        found[f] = found.get(f, 0) + times
+                for f, times in found.items():
                     at = seen.setdefault(f, [0, 0])
                     at[0] += 1
-                    at[1] += found[f]
+                    at[1] += times
             columns = [pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["feature", "n", "times"])
 
