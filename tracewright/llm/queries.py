@@ -47,7 +47,7 @@ def op6_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    gone = line_dedup.removed_lines(table(spark, sf_dir, "documents"), most_bits=None)
     return gone.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
