@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tests.llm.conftest import Groups, near_texts
@@ -35,3 +37,17 @@ def test_edges(edge_docs, no_docs):
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
     assert by[5][0].component_id == 1 and not by[5][0].kept and all(r.kept for r in by[6] + by[2] + by[3] + by[None])
+
+
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(16)]
+    rows = [(1 if i < 8 else None, t) for i, t in enumerate(texts)] + [(100 + i, t + " more") for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = {}
+    for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect():
+        got.setdefault(r.doc_id, []).append((r.component_id, r.kept))
+    assert got[1] == [(1, True)] * 8
+    assert sorted(got[None]) == [(108 + i, False) for i in range(8)]
+    for i in range(16):
+        assert got[100 + i] == ([(1, False)] if i < 8 else [(108 + i - 8, True)])

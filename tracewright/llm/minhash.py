@@ -15,7 +15,7 @@ with a group, and what is written grows with the number of documents.  All links
 different groups of connected documents are tested on full sets.
 
 Nulls and empty texts have no shingle, are linked with nothing and are kept.  A null
-doc_id is an id of its own kind.  Rows that repeat are one class.  Extra columns are
+doc_id is an id of its own kind.  Texts that share an id are told apart by their hashes.  Rows that repeat are one class.  Extra columns are
 ignored.  An empty table gives an empty result.
 """
 
@@ -67,7 +67,7 @@ def _sets(column: pa.Array, size: int):
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (key of the class; null without shingles), bands."""
+    """doc_id, text_key, n_shingles, node (key of the class; null without shingles), bands."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
@@ -77,16 +77,17 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([k and _signed(k[0]) for k in keys], pa.int64()),
                     pa.array([k and _signed(k[1]) for k in keys], pa.int64()),
                     pa.array([bands(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "k0", "k1", "bands"],
+                ["doc_id", "text_key", "n_shingles", "k0", "k1", "bands"],
             )
 
-    made = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, k0 bigint, k1 bigint, bands array<bigint>")
-    return made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "k0", "k1")).alias("node"), "bands")
+    made = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key bigint, n_shingles bigint, k0 bigint, k1 bigint, bands array<bigint>")
+    return made.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "k0", "k1")).alias("node"), "bands")
 
 
 class _Forest:
@@ -132,10 +133,10 @@ def _links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: in
     groups = components(ties.join(hubs, "band").select(F.col("node").alias("src"), F.col("hub").alias("dst")))
     groups = groups.withColumnRenamed("component_id", "group")
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sizes, "group").join(classes.select("node", "doc"), "node").select("node", "group", "blocks", "doc")
+    members = groups.join(sizes, "group").join(classes.select("node", "at"), "node").select("node", "group", "blocks", "at")
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("blocks")).cast("int"))
-    texts = docs.select(docs[doc_id].alias("_id"), docs[text].alias("text"))
-    rows = members.join(texts, F.col("doc").eqNullSafe(F.col("_id")))
+    texts = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_key"), docs[text].alias("text"))
+    rows = members.join(texts, F.col("at.doc_id").eqNullSafe(F.col("_id")) & (F.col("at.text_key") == F.col("_key")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("group", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "text")
     rows = rows.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two")
@@ -172,7 +173,7 @@ def _links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: in
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     base = cut(signatures(docs, doc_id, text, size))
-    classes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
+    classes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("bands").alias("bands"))
     classes = cut(classes)
     joined = components(_links(docs, classes, doc_id, text, size, percent))
     named = classes.select("node", "doc").join(joined, "node", "left").withColumn("component", F.coalesce("component_id", "node"))
