@@ -36,6 +36,23 @@ def test_same_as_sql(spark, con, name):
     assert sorted(_shown([r[c] for c in columns]) for r in df.collect()) == sorted(map(_shown, expected))
 
 
+def test_clusters_of_all_user_turns(spark, con):
+    from pyspark.sql import functions as F
+
+    from tracewright.functions import text as tx
+
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'")
+    keyed = turns.select("conv_id", "turn", "text", tx.prompt_key(F.col("text")).alias("norm")).collect()
+    expected = {}
+    for r in sorted(keyed, key=lambda r: (r.conv_id, r.turn)):
+        n, sample = expected.get(r.norm, (0, r.text[:200]))
+        expected[r.norm] = n + 1, sample
+    got = {r.norm: (r.prompts, r.sample) for r in QUERIES["template_clusters_all"](spark, SF).collect()}
+    assert got == expected
+    assert sum(n for n, _ in got.values()) == con.execute("SELECT count(*) FROM conversations WHERE role = 'user'").fetchone()[0]
+    assert any(not r.text.isascii() for r in keyed)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["gram", "sessions", "occurrences", "score"]
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())

@@ -200,6 +200,14 @@ def template_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("norm").agg(F.count("*").alias("prompts"), F.min_by("sample", "ord").alias("sample"))
 
 
+@query()
+def template_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As template_clusters, of all user turns; without SQL, as DuckDB's regex classes differ beyond ASCII."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    rows = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("ord"), tx.prompt_key(F.col("text")).alias("norm"), F.substring("text", 1, 200).alias("sample"))
+    return rows.groupBy("norm").agg(F.count("*").alias("prompts"), F.min_by("sample", "ord").alias("sample"))
+
+
 SLUG_SQL = "coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', ''), ''), 'candidate')"
 
 
