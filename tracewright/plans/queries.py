@@ -398,6 +398,13 @@ def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("n"), "norm").limit(8)
 
 
+@query("SELECT text AS norm, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, norm LIMIT 8")
+def most_common_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-8 report of whole document texts."""
+    rows = table(spark, sf_dir, "documents").groupBy(F.col("text").alias("norm")).agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "norm").limit(8)
+
+
 DIFF_SQL = """
 WITH now AS (SELECT CAST(doc_id AS VARCHAR) AS file, n_chars AS size FROM documents),
 state AS (SELECT CAST(l.doc_id AS VARCHAR) AS file, CASE WHEN l.quality = 1 THEN d.n_chars ELSE d.n_chars + 1 END AS size FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
