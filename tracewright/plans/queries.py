@@ -435,6 +435,14 @@ def prune_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.prune(state, listing.where(F.col("file").cast("long") % 2 == 0)).select("file", "size")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS file, n_chars AS size FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def prune_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a state, of which the rows stay whose file is in the listing of labels."""
+    state, _ = _state(spark, sf_dir)
+    listing = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file"))
+    return incremental.prune(state, listing).select("file", "size")
+
+
 @query("""
 SELECT doc_id, CASE WHEN NOT starts_with(text, '---') THEN 'error:no frontmatter' ELSE '' END AS findings, NOT starts_with(text, '---') AS failed FROM documents
 """)
