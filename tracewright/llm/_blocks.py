@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +29,20 @@ class Forest:
         return a != b
 
 
-def block_links(nodes: list, items: list, left: list[bool], right: list[bool], similar: Callable) -> list[tuple]:
-    """Links that connect, between an item of the left block and one of the right block (which may be the same)."""
-    forest, out = Forest(len(nodes)), []
-    for y in range(len(nodes)):
-        for x in range(y):
-            if ((left[x] and right[y]) or (left[y] and right[x])) and forest.find(x) != forest.find(y) and similar(items[x], items[y]):
-                forest.join(x, y)
+def block_links(nodes: list, items: list, left: list[bool], right: list[bool], similar: Callable, likely: Callable) -> list[tuple]:
+    """Links that connect, between an item of the left block and one of the right block (which may be the same).
+
+    ``likely(items)`` gives a function from y to a mask over the items that can be similar to
+    item y; pairs that it leaves out, and pairs that are connected already, are not compared.
+    """
+    n, out = len(nodes), []
+    left, right = np.array(left, bool), np.array(right, bool)
+    label, can = np.arange(n), likely(items)
+    for y in range(1, n):
+        facing = (right[:y] if left[y] else False) | (left[:y] if right[y] else False)
+        for x in np.flatnonzero(facing & can(y)[:y]).tolist():
+            if label[x] != label[y] and similar(items[x], items[y]):
+                label[label == label[x]] = label[y]
                 out.append((nodes[x], nodes[y]))
     return out
 
@@ -45,7 +53,7 @@ def in_blocks(groups: DataFrame, size: int) -> DataFrame:
     return groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("blocks")).cast("int"))
 
 
-def confirmed_links(rows: DataFrame, prepare: Callable, similar: Callable) -> DataFrame:
+def confirmed_links(rows: DataFrame, prepare: Callable, similar: Callable, likely: Callable) -> DataFrame:
     """(src, dst): links that connect all items of a group that are similar, directly or by others.
 
     rows: (node bigint, group, blocks, block, text), one for each node.  Each pair of
@@ -63,7 +71,7 @@ def confirmed_links(rows: DataFrame, prepare: Callable, similar: Callable) -> Da
             if len(nodes) < 2:
                 return []
             one, two = key[1:]
-            return block_links(nodes, items, [b == one for b in blocks], [b == two for b in blocks], similar)
+            return block_links(nodes, items, [b == one for b in blocks], [b == two for b in blocks], similar, likely)
 
         def rows_of(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["src", "dst"])

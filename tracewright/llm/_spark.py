@@ -2,36 +2,89 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rounds after which ``components`` gives up with an error; they are about the logarithm of the longest chain.
+MOST_ROUNDS = 60
+#: Edges that a task holds at a time when it replaces them by stars.
+CHUNK_EDGES = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
     Only a local master without that setting (tests) gets a temporary folder:
     on a cluster a machine-local folder would lose data, so that is an error.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewright-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Inside, the shuffle files of an execution go as soon as it ends (its result is on shared disk by then)."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with released(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+class Shelf:
+    """Intermediate tables in the shared folder; they go when they are dropped or the shelf is closed.
+
+    Nothing that is evaluated later may read them: a result is ``cut`` before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{ensure_checkpoint_dir(spark)}/shelf-{uuid.uuid4().hex}", {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}.parquet"
+        with released(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[len(self.paths)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for k, (table, path) in list(self.paths.items()):
+            if path and any(table is t for t in tables):
+                self._delete(path)
+                self.paths[k] = (None, "")
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -59,39 +112,72 @@ def text_batches(batches, text: str, limit: int = 4 << 20):
         yield batch.slice(start)
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge list: rows (node, component_id).
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the given ones connect: each node but the smallest, with the smallest of its component."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if np.array_equal(x, y):
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label = jumped
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[child], nodes[label[child]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v, changed) of (u, v, changed): each task's edges as stars, CHUNK_EDGES at a time; a hub costs a row a task."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            u, v, changed = (np.concatenate([h[i] for h in held]) for i in range(3))
+            child, root = stars(u, v)
+            return pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(root, pa.int64()), pa.array(np.full(len(child), changed.any()))], ["u", "v", "changed"])
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            size += batch.num_rows
+            if size >= CHUNK_EDGES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return edges.mapInArrow(run, "u bigint, v bigint, changed boolean")
+
+
+def components(*edges: DataFrame) -> DataFrame:
+    """Connected components of undirected edges (src, dst) between bigint nodes: rows (node, component_id).
 
     component_id is the smallest node of the component; only nodes that occur in
-    an edge between two different nodes are returned.  The algorithm alternates
-    large-star and small-star rewrites, so the edge list never grows and the
-    number of rounds is about logarithmic.  Neighbour minima are aggregations
-    with map-side combine, so a hub with very many edges is no single-task group.
+    an edge between two different nodes are returned.  In a round a node with several
+    smaller neighbours links them to the smallest, every edge moves on to the parent of its
+    lower end, and each task replaces its edges by stars; the number of edges never grows.
+    A node's neighbours meet as a set of at most one for each task that made
+    stars; the edges of a hub are only read in a join, whose large partitions Spark splits.
     """
-    clean = (
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .where("u <> v")
-        .distinct()
-    )
-    clean = cut(clean)
-    before = None
-    for _ in range(max_rounds):
-        state = tuple(clean.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before or not state[0]:
-            return clean.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(
-                clean.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
-            )
-        before = state
-        # large star: every larger neighbour of a node goes to that node's smallest neighbour
-        both = clean.unionByName(clean.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # small star: every smaller neighbour, and the node itself, goes to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-        clean = cut(small.where("u <> v").distinct())
+    with Shelf(edges[0].sparkSession) as shelf:
+        # one after another, so that the shuffle files of one are gone when the next is made
+        parts = [shelf.put(_contracted(e.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"), F.lit(False).alias("changed")).where("u <> v"))) for e in edges]
+        now = functools.reduce(DataFrame.unionByName, parts)
+        for _ in range(MOST_ROUNDS):
+            near = now.groupBy("u").agg(F.collect_set("v").alias("vs")).withColumn("m", F.array_min("vs"))
+            parents = near.select(F.col("u").alias("own"), F.col("m").alias("above"))
+            several = F.size("vs") > 1
+            linked = near.select("m", several.alias("several"), F.explode(F.transform("vs", lambda v: F.when(v == F.col("m"), F.col("u")).otherwise(v))).alias("x"))
+            moved = linked.join(parents, F.col("m") == F.col("own"), "left")
+            new = shelf.put(_contracted(moved.select(F.col("x").alias("u"), F.coalesce("above", "m").alias("v"), (F.col("several") | F.col("above").isNotNull()).alias("changed"))))
+            shelf.drop(*parts)
+            now, parts = new, [new]
+            if not now.agg(F.max("changed")).first()[0]:
+                found = now.select("u", "v").distinct()
+                return cut(found.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()))
     raise RuntimeError("components did not settle")

@@ -21,12 +21,16 @@ ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._spark import components, cut, text_batches
+from tracewright.llm._blocks import confirmed_links, in_blocks
+from tracewright.llm._spark import Shelf, components, cut, text_batches
 from tracewright.llm._words import U, mix, shingles, words
 
 BANDS, BLOCK = 24, 256
@@ -61,13 +65,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _sets(column: pa.Array, size: int):
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
     hashes, at = words(column)
     return [np.unique(s) for s in shingles(hashes, at, size)]
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, node (key of the class; null without shingles), bands."""
+    """doc_id, text_key, n_shingles, k0, k1 (128 bits that stand for the set), bands."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
@@ -86,22 +90,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 ["doc_id", "text_key", "n_shingles", "k0", "k1", "bands"],
             )
 
-    made = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key bigint, n_shingles bigint, k0 bigint, k1 bigint, bands array<bigint>")
-    return made.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "k0", "k1")).alias("node"), "bands")
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        self.up[self.find(a)] = self.find(b)
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, n_shingles bigint, k0 bigint, k1 bigint, bands array<bigint>")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -115,15 +105,9 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
-def _block_links(nodes: list[int], sets: list[np.ndarray], left: list[bool], right: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links that connect, between a row of the left block and one of the right block (which may be the same)."""
-    forest, out = _Forest(len(nodes)), []
-    for y in range(len(nodes)):
-        for x in range(y):
-            if ((left[x] and right[y]) or (left[y] and right[x])) and forest.find(x) != forest.find(y) and _similar(sets[x], sets[y], percent):
-                forest.join(x, y)
-                out.append((nodes[x], nodes[y]))
-    return out
+def _likely(sets: list[np.ndarray], percent: int) -> Callable:
+    sizes = np.array([len(x) for x in sets])
+    return lambda y: 100 * np.minimum(sizes, sizes[y]) >= percent * np.maximum(sizes, sizes[y])
 
 
 def _links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
@@ -131,55 +115,23 @@ def _links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: in
     ties = classes.select("node", F.explode("bands").alias("band"))
     hubs = ties.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
     groups = components(ties.join(hubs, "band").select(F.col("node").alias("src"), F.col("hub").alias("dst")))
-    groups = groups.withColumnRenamed("component_id", "group")
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sizes, "group").join(classes.select("node", "at"), "node").select("node", "group", "blocks", "at")
-    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("blocks")).cast("int"))
+    members = in_blocks(groups.withColumnRenamed("component_id", "group"), BLOCK).join(classes.select("node", "at"), "node")
     texts = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_key"), docs[text].alias("text"))
     rows = members.join(texts, F.col("at.doc_id").eqNullSafe(F.col("_id")) & (F.col("at.text_key") == F.col("_key")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("group", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "text")
-    rows = rows.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two")
-
-    def run(batches):
-        key, nodes, blocks, sets = None, [], [], []
-
-        def flush():
-            if len(nodes) < 2:
-                return []
-            one, two = key[1:]
-            return _block_links(nodes, sets, [b == one for b in blocks], [b == two for b in blocks], percent)
-
-        def rows_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["src", "dst"])
-
-        for batch in text_batches(batches, "text", 1 << 20):
-            out = []
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for group, one, two, node, block, found in zip(*columns, _sets(batch.column(5), size)):
-                if key != (group, one, two):
-                    out += flush()
-                    key, nodes, blocks, sets = (group, one, two), [], [], []
-                if len(found) and node not in nodes:
-                    nodes.append(node)
-                    blocks.append(block)
-                    sets.append(found)
-            yield rows_of(out)
-        yield rows_of(flush() if key else [])
-
-    return rows.mapInArrow(run, "src bigint, dst bigint")
+    return confirmed_links(rows, functools.partial(_sets, size=size), functools.partial(_similar, percent=percent), functools.partial(_likely, percent=percent))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    base = cut(signatures(docs, doc_id, text, size))
-    classes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    joined = components(_links(docs, classes, doc_id, text, size, percent))
-    named = classes.select("node", "doc").join(joined, "node", "left").withColumn("component", F.coalesce("component_id", "node"))
-    named = cut(named.select("node", "doc", "component"))
-    least = named.groupBy("component").agg(F.min("doc").alias("least"))
-    named = named.join(least, "component").select("node", "least")
-    out = base.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    key = ["k0", "k1", "n_shingles"]
+    with Shelf(docs.sparkSession) as shelf:
+        base = shelf.put(signatures(docs, doc_id, text, size))
+        classes = base.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("bands").alias("bands"))
+        classes = shelf.put(classes.withColumn("node", F.monotonically_increasing_id()))
+        joined = components(_links(docs, classes, doc_id, text, size, percent))
+        named = classes.select(*key, "doc", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component_id", "node"))
+        least = named.groupBy("component").agg(F.min("doc").alias("least"))
+        named = named.join(least, "component").select(*key, "least")
+        out = cut(base.select("doc_id", *key).join(named, key, "left"))
     out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
