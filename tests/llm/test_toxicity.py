@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -7,7 +8,37 @@ from tracewright.llm import toxicity as tx
 
 def test_fold():
     assert tx.fold("You 1D1OT, ѕtupіd!") == " you idiot stupid "
-    assert tx.fold(None) == "  " and tx.fold("s\u200bt\u00fapid") == " st\u00fapid "
+    assert tx.fold(None) == "  " and tx.fold("s\u200bt\u00fapid") == " stupid "
+    assert tx.fold("stu\u0301pid i\u0323diot") == " stupid idiot " == tx.fold("STU\u0301PID \u1ecbdiot")
+
+
+def plainly(lexicon, folded):
+    """Score weight by trying every entry and exception at every place."""
+    at = lambda x: [i for i in range(len(folded)) if folded.startswith(x, i)]
+    covers = [(i, i + len(x)) for x in lexicon.exceptions for i in at(x)]
+    best = {}
+    for x, w in lexicon.entries.items():
+        for i in at(x):
+            if not any(s <= i and i + len(x) <= e for s, e in covers):
+                best[i] = max(w, best.get(i, 0))
+    return sum(best.values())
+
+
+def test_weight_against_brute_force():
+    rng = random.Random(9)
+    words = ["scum", "scummy", "pond", "trash", "trashy", "can", "idiot", "proof", "a"]
+    lexicon = tx.Lexicon({" scum": 2.0, " scummy ": 3.0, " trash ": 1.5, " idiot": 2.5, " can ": 0.5}, [" pond scum ", " trash can ", " idiot proof ", " can a trash can "])
+    automaton = lexicon.automaton()
+    for _ in range(500):
+        folded = tx.fold(" ".join(rng.choices(words, k=rng.randint(0, 12))))
+        assert tx.weigh(automaton, folded) == plainly(lexicon, folded)
+
+
+def test_long_text_of_phrases():
+    lexicon = tx.Lexicon({" trash ": 1.5}, [" trash can "])
+    text = tx.fold("trash can " * 50_000 + "trash")
+    began = time.perf_counter()
+    assert tx.weigh(lexicon.automaton(), text) == 1.5 and time.perf_counter() - began < 5
 
 
 def test_lexicon_with_exceptions():

@@ -1,8 +1,8 @@
 """Operator 3: toxicity by a weighted lexicon, matched by Aho-Corasick.
 
 Texts are folded first: lower case, homoglyphs and digits that stand for letters become
-those letters, zero-width characters and combining marks go, and every other run of
-non-letters becomes one space.  One automaton finds all lexicon entries in one pass:
+those letters, accents (combining marks, after decomposition) and zero-width characters go,
+and every other run of non-letters becomes one space.  One automaton finds all lexicon entries in one pass:
 whole words and word beginnings, each with a weight, and exception phrases, which cancel
 the entries that they cover.  The sum of the weights, and that sum normalised by the
 length in words, go through a logistic curve to a score between 0 and 1.
@@ -21,6 +21,8 @@ are scored each; extra columns are ignored; an empty table gives an empty result
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import unicodedata
@@ -52,7 +54,7 @@ def fold(text: str | None) -> str:
     """Folded words between single spaces, with a space at either end."""
     text = text or ""
     if not text.isascii():
-        text = _LOOSE.sub("", unicodedata.normalize("NFKC", text))
+        text = _LOOSE.sub("", unicodedata.normalize("NFKD", text))
     return " " + _GAP.sub(" ", text.lower().translate(_SIGNS)).strip() + " "
 
 
@@ -85,11 +87,14 @@ def weigh(automaton, folded: str) -> float:
     """Sum of the weights of the entries found, without those that an exception covers."""
     if not len(automaton):
         return 0.0
-    hits, covered = [], []
+    hits, covers = [], []
     for end, (size, weight) in automaton.iter(folded):
-        (covered if weight is None else hits).append((end - size + 1, end, weight))
-    if covered:
-        hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in covered)]
+        (covers if weight is None else hits).append((end - size + 1, end, weight))
+    if covers:
+        covers.sort(key=lambda c: c[0])
+        starts = [c[0] for c in covers]
+        reach = list(itertools.accumulate((c[1] for c in covers), max))  # how far the exceptions up to here cover
+        hits = [h for h in hits if not (k := bisect.bisect_right(starts, h[0])) or reach[k - 1] < h[1]]
     best: dict[int, float] = {}  # one entry a word: the heaviest
     for start, _, weight in hits:
         best[start] = max(weight, best.get(start, 0.0))
@@ -98,10 +103,19 @@ def weigh(automaton, folded: str) -> float:
 
 #: Shortest and longest word beginnings that can be entries.
 BEGINNINGS = range(3, 9)
-#: An entry needs this many toxic documents, this weight and this log-likelihood ratio.
-LEAST_DOCS, LEAST_WEIGHT, LEAST_EVIDENCE = 4, 1.5, 24.0
-#: Candidates considered, by the number of toxic documents they occur in.
-MOST_CANDIDATES = 60_000
+#: An entry needs this many toxic documents and this weight.
+LEAST_DOCS, LEAST_WEIGHT = 4, 1.5
+#: Chance that any entry at all is taken by accident; its log-likelihood ratio must be beyond that.
+ACCIDENT = 0.05
+
+
+def least_evidence(candidates: int) -> float:
+    """The log-likelihood ratio (chi-square, one degree) that one of so many candidates exceeds by chance with ``ACCIDENT``."""
+    low, high = 0.0, 200.0
+    while high - low > 1e-6:
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.erfc(math.sqrt(middle / 2)) > ACCIDENT / max(candidates, 1) else (low, middle)
+    return high
 
 
 def forms(word: str) -> list[str]:
@@ -166,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sizes = {r.toxic: (r.n, r.words) for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", " "))).alias("words")).collect()}
     if 1 not in sizes:
         return Lexicon()
-    first = _counts(toxic, None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(MOST_CANDIDATES)
+    first = _counts(toxic, None).where(F.col("n") >= LEAST_DOCS)  # the sample bounds them
     in_toxic = {r.feature: (r.n, r.times) for r in first.toLocalIterator()}
     in_clean = {r.feature: (r.n, r.times) for r in _counts(clean, frozenset(in_toxic)).toLocalIterator()}
     entries = _select(in_toxic, in_clean, sizes[1], sizes.get(0, (0, 0)))
@@ -180,12 +194,13 @@ def _select(in_toxic: dict[str, tuple[int, int]], in_clean: dict[str, tuple[int,
     """Weights (log ratio of the rates among all words) of the entries; the arguments hold (documents, words)."""
     entries: dict[str, float] = {}
     share = toxic[0] / (toxic[0] + clean[0])
+    least = least_evidence(len(in_toxic))
     for text in sorted(in_toxic, key=lambda x: (len(x), x)):
         (t, times), (c, clean_times) = in_toxic[text], in_clean.get(text, (0, 0))
         weight = math.log((times + 0.5) / (toxic[1] + 1)) - math.log((clean_times + 0.5) / (clean[1] + 1))
         p = t / (t + c)
         evidence = 2 * (t * math.log(p / share) + (c * math.log((1 - p) / (1 - share)) if c and share < 1 else 0))
-        if weight < LEAST_WEIGHT or evidence < LEAST_EVIDENCE or p < share:
+        if weight < LEAST_WEIGHT or evidence < least or p < share:
             continue
         body = text.rstrip(" ")
         if any(entries.get(body[: n + 1], -9) >= min(weight - 1, 5) for n in BEGINNINGS if n + 1 <= len(body)):
@@ -218,7 +233,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([t for _, t in out], pa.int64())], ["phrase", "toxic"])
 
     seen = sample.mapInArrow(run, "phrase string, toxic bigint").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    return [r.phrase for r in seen.where("t = 0 and c >= 3").orderBy(F.desc("c"), "phrase").limit(MOST_CANDIDATES).collect()]
+    return [r.phrase for r in seen.where("t = 0 and c >= 3").orderBy("phrase").collect()]
 
 
 def _curve(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
