@@ -54,10 +54,11 @@ def test_secrets_go(spark, raw, gone):
 
 def test_plain_text_stays_and_is_fast(spark):
     texts = ["just refactor the auth module", "https://host:443/api?email=a@b.com", "a1b2c3d4+." * 20_000, None]
+    sc.with_scrubbed(spark.createDataFrame([("warm",)], "t string"), "t").collect()
     start = time.time()
     rows = sc.with_scrubbed(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
     assert [r.scrubbed for r in rows] == texts and sum(r.hits for r in rows) == 0
-    assert time.time() - start < 20
+    assert time.time() - start < 5
 
 
 def test_scrub_nested(spark):

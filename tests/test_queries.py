@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tracewright.plans import log_queries  # noqa: F401
 from tracewright.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,7 +48,7 @@ def test_clusters_of_all_user_turns(spark, con):
     for r in sorted(keyed, key=lambda r: (r.conv_id, r.turn)):
         n, sample = expected.get(r.norm, (0, r.text[:200]))
         expected[r.norm] = n + 1, sample
-    got = {r.norm: (r.prompts, r.sample) for r in QUERIES["template_clusters_all"](spark, SF).collect()}
+    got = {r.norm: (r.prompts, r.sample) for r in QUERIES["template_clusters"](spark, SF).collect()}
     assert got == expected
     assert sum(n for n, _ in got.values()) == con.execute("SELECT count(*) FROM conversations WHERE role = 'user'").fetchone()[0]
     assert any(not r.text.isascii() for r in keyed)
@@ -59,5 +60,19 @@ def test_entry(spark):
 
 
 def test_without_the_optional_part(monkeypatch):
-    monkeypatch.setattr(entry, "_present", lambda name: False)
-    assert set(entry.queries()) == set(QUERIES)
+    """A module that is there but cannot be imported counts as absent."""
+    import builtins
+    import sys
+
+    whole = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name.startswith("tracewright.llm"):
+            raise ImportError(name)
+        return whole(name, *args, **kwargs)
+
+    for name in [m for m in sys.modules if m.startswith(("tracewright.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tracewright.llm.queries", None)
+    monkeypatch.setattr(builtins, "__import__", without)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE_SQL)

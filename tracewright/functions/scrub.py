@@ -35,26 +35,33 @@ def scrub(c: Column) -> Column:
     return c
 
 
-def with_scrubbed(df: DataFrame, column: str, into: str = "scrubbed", hits: str | None = "hits", by_rule: bool = False) -> DataFrame:
-    """Add the scrubbed text and the number of redactions, counted on the text as each rule meets it.
+def _steps(df: DataFrame, column: str) -> DataFrame:
+    """Columns _s<i>, the text as rule i meets it, and _n<i>, the redactions of rule i.
 
-    ``by_rule`` adds a map of rule name to number instead of the sum.  Steps are columns of
-    their own, so the text is not scanned again for each later rule.
+    Steps are columns of their own, so the text is not scanned again for each later rule.
     """
     df = df.withColumn("_s0", F.coalesce(F.col(column), F.lit("")))
     for i, (_, pattern, replacement) in enumerate(RULES):
         df = df.select("*", F.regexp_count(f"_s{i}", F.lit(pattern)).cast("long").alias(f"_n{i}"), F.regexp_replace(f"_s{i}", pattern, replacement).alias(f"_s{i + 1}"))
+    return df
+
+
+def with_scrubbed(df: DataFrame, column: str, into: str = "scrubbed", hits: str | None = "hits") -> DataFrame:
+    """Add the scrubbed text and the number of redactions, counted on the text as each rule meets it."""
     counts = [F.col(f"_n{i}") for i in range(len(RULES))]
-    if by_rule:
-        made = F.create_map(*[x for (name, _, _), n in zip(RULES, counts) for x in (F.lit(name), n)])
-    else:
-        made = sum(counts[1:], counts[0])
-    out = df.withColumn(into, F.when(F.col(column).isNotNull(), F.col(f"_s{len(RULES)}")))
+    out = _steps(df, column).withColumn(into, F.when(F.col(column).isNotNull(), F.col(f"_s{len(RULES)}")))
     if hits:
-        out = out.withColumn(hits, made)
+        out = out.withColumn(hits, sum(counts[1:], counts[0]))
     return out.drop(*[f"_s{i}" for i in range(len(RULES) + 1)], *[f"_n{i}" for i in range(len(RULES))])
 
 
+def rule_hits(df: DataFrame, column: str) -> DataFrame:
+    """rule, hits, texts (with a hit): sums over plain columns, turned into rows at the end."""
+    sums = _steps(df, column).agg(*[x for i in range(len(RULES)) for x in (F.sum(f"_n{i}").alias(f"h{i}"), F.count_if(F.col(f"_n{i}") > 0).alias(f"t{i}"))])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"h{i}").alias("hits"), F.col(f"t{i}").alias("texts")) for i, (name, _, _) in enumerate(RULES)]))
+    return sums.select(each.alias("r")).select("r.*")
+
+
 def scrub_leaves(c: Column, kind: T.DataType) -> Column:
     """Scrub every string inside a column of any nested type; map keys and field names stay."""
     if isinstance(kind, T.StringType):

@@ -33,6 +33,11 @@ def candidates(parts: list[DataFrame], managed: bool) -> DataFrame:
     return scrub_all(ranked.select(*order))
 
 
+def project_list(heads: DataFrame) -> DataFrame:
+    """The first project folders, in order."""
+    return heads.where("cwd is not null").select("cwd").distinct().orderBy("cwd").limit(inventory.MOST_PROJECTS)
+
+
 def mine(spark: SparkSession, root: str, since_ms: int | None = None, state: DataFrame | None = None, managed: bool | None = None, least_sessions: int = 3) -> Mined:
     """Mine a log folder.  ``state``: what an earlier run returned; unchanged files are not parsed again."""
     if managed is None:
@@ -74,7 +79,7 @@ def mine(spark: SparkSession, root: str, since_ms: int | None = None, state: Dat
     ]
     ranked = cut(candidates(found, managed))
     n_todo, n_hits = todo.count(), hits.count()
-    projects = [r.cwd for r in heads.where("cwd is not null").select("cwd").distinct().orderBy("cwd").limit(inventory.MOST_PROJECTS).collect()]
+    projects = [r.cwd for r in project_list(heads).collect()]
     envelope = {
         "schema_version": SCHEMA_VERSION,
         "generated_at_ms": now_ms(),

@@ -34,13 +34,13 @@ def query(sql: str | None = None):
 GRAMS_SQL = """
 WITH calls AS ({calls}),
 wide AS (
-  SELECT session, item AS a, lead(item, 1) OVER w AS b, lead(item, 2) OVER w AS c, lead(item, 3) OVER w AS d, lead(item, 4) OVER w AS e
+  SELECT session, item AS a, lead(item, 1) OVER w AS b, lead(item, 2) OVER w AS c, lead(item, 3) OVER w AS d, lead(item, 4) OVER w AS e, o1
   FROM calls WINDOW w AS (PARTITION BY session ORDER BY o1, o2)),
 grams AS (
-  SELECT session, [a, b] AS gram FROM wide WHERE b IS NOT NULL
-  UNION ALL SELECT session, [a, b, c] FROM wide WHERE c IS NOT NULL
-  UNION ALL SELECT session, [a, b, c, d] FROM wide WHERE d IS NOT NULL
-  UNION ALL SELECT session, [a, b, c, d, e] FROM wide WHERE e IS NOT NULL),
+  SELECT session, [a, b] AS gram, o1 FROM wide WHERE b IS NOT NULL
+  UNION ALL SELECT session, [a, b, c], o1 FROM wide WHERE c IS NOT NULL
+  UNION ALL SELECT session, [a, b, c, d], o1 FROM wide WHERE d IS NOT NULL
+  UNION ALL SELECT session, [a, b, c, d, e], o1 FROM wide WHERE e IS NOT NULL),
 frequent AS (
   SELECT gram, count(DISTINCT session) AS sessions, count(*) AS occurrences FROM grams
   WHERE len(list_distinct(gram)) > 1 GROUP BY gram HAVING count(DISTINCT session) >= 3)
@@ -61,8 +61,8 @@ s2 AS (SELECT sub AS gram, max(sessions) AS longer FROM (
   UNION ALL SELECT sessions, unnest([gram[1:2], gram[2:3]]) FROM k3) GROUP BY sub),
 k2 AS (SELECT f.* FROM frequent f LEFT JOIN s2 USING (gram) WHERE len(f.gram) = 2 AND (longer IS NULL OR f.sessions > longer * 1.25)),
 kept AS (SELECT * FROM k5 UNION ALL SELECT * FROM k4 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k2)
-SELECT array_to_string(gram, ' > ') AS gram, sessions, occurrences FROM kept
 """
+CLOSED_SHOWN = "SELECT array_to_string(gram, ' > ') AS gram, sessions, occurrences FROM kept"
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -77,13 +77,13 @@ def seq_ngram_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join("gram", " > ").alias("gram"), "sessions", "occurrences", score.alias("score"))
 
 
-@query(GRAMS_SQL.format(calls=EVENT_CALLS) + CLOSED_SQL)
+@query(GRAMS_SQL.format(calls=EVENT_CALLS) + CLOSED_SQL + CLOSED_SHOWN)
 def seq_ngram_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 on the event table."""
     return _shown(sq.closed(sq.support(sq.ngrams(event_calls(spark, sf_dir), order=ORDER))))
 
 
-@query(GRAMS_SQL.format(calls=TURN_CALLS) + CLOSED_SQL)
+@query(GRAMS_SQL.format(calls=TURN_CALLS) + CLOSED_SQL + CLOSED_SHOWN)
 def seq_ngram_closed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 on the roles of conversations."""
     return _shown(sq.closed(sq.support(sq.ngrams(conversation_calls(spark, sf_dir)))))
@@ -188,21 +188,9 @@ def bash_template_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("template").agg(F.count("*").alias("runs"), F.count_distinct("page_id").alias("sessions"))
 
 
-@query(f"""
-WITH p AS (SELECT conv_id * 1000000 + turn AS ord, text, substr(lower({template_sql('text')}), 1, 100) AS norm FROM conversations
-  WHERE role = 'user' AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))
-SELECT norm, count(*) AS prompts, arg_min(substr(text, 1, 200), ord) AS sample FROM p GROUP BY norm
-""")
-def template_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of user turns (ASCII ones, on which both engines' classes agree), each with its first sample."""
-    turns = table(spark, sf_dir, "conversations").where((F.col("role") == "user") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    rows = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("ord"), tx.prompt_key(F.col("text")).alias("norm"), F.substring("text", 1, 200).alias("sample"))
-    return rows.groupBy("norm").agg(F.count("*").alias("prompts"), F.min_by("sample", "ord").alias("sample"))
-
-
 @query()
-def template_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As template_clusters, of all user turns; without SQL, as DuckDB's regex classes differ beyond ASCII."""
+def template_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all user turns, each with its first sample; without SQL, as DuckDB's regex classes differ beyond ASCII."""
     turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     rows = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("ord"), tx.prompt_key(F.col("text")).alias("norm"), F.substring("text", 1, 200).alias("sample"))
     return rows.groupBy("norm").agg(F.count("*").alias("prompts"), F.min_by("sample", "ord").alias("sample"))
@@ -300,9 +288,7 @@ def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(scrub_sql("documents", "doc_id", "text", True))
 def scrub_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redactions by rule."""
-    rows = sc.with_scrubbed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", by_rule=True)
-    each = rows.select(F.explode("hits").alias("rule", "n"))
-    return each.groupBy("rule").agg(F.sum("n").alias("hits"), F.count_if(F.col("n") > 0).alias("texts"))
+    return sc.rule_hits(table(spark, sf_dir, "documents").select("text"), "text")
 
 
 @query("""
@@ -314,8 +300,8 @@ def overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a part's words that are words of part types."""
     parts = table(spark, sf_dir, "part")
     words = parts.select(F.explode(F.split(F.lower("p_type"), "[^a-z0-9]+")).alias("w")).where("w <> ''").distinct()
-    bag = sorted(r.w for r in words.limit(10_000).collect())  # the fixed words that types are made of
-    return parts.select("p_partkey", tx.overlap(tx.white_space_tokens(F.lower(F.concat("p_name", F.lit(" "), "p_type"))), F.lit(bag)).alias("overlap"))
+    rows = parts.select("p_partkey", tx.white_space_tokens(F.lower(F.concat("p_name", F.lit(" "), "p_type"))).alias("tokens"))
+    return scoring.overlaps(rows, "p_partkey", "tokens", words).select("p_partkey", "overlap")
 
 
 @query(f"""
@@ -391,16 +377,9 @@ def source_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).agg(F.lit(t).alias("source"), F.count("*").alias("total")) for t in COUNTED])
 
 
-@query("SELECT text AS norm, count(*) AS n FROM (SELECT substr(text, 1, 40) AS text FROM documents) GROUP BY 1 ORDER BY n DESC, norm LIMIT 8")
-def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A top-8 report of document beginnings."""
-    rows = table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 40).alias("norm")).agg(F.count("*").alias("n"))
-    return rows.orderBy(F.desc("n"), "norm").limit(8)
-
-
 @query("SELECT text AS norm, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, norm LIMIT 8")
-def most_common_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A top-8 report of whole document texts."""
+def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-8 report of whole document texts."""
     rows = table(spark, sf_dir, "documents").groupBy(F.col("text").alias("norm")).agg(F.count("*").alias("n"))
     return rows.orderBy(F.desc("n"), "norm").limit(8)
 
@@ -428,31 +407,14 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return todo.select("file", F.lit(False).alias("hit")).unionByName(hits.select("file", F.lit(True).alias("hit")))
 
 
-@query(DIFF_SQL + "SELECT file, size FROM state WHERE CAST(file AS BIGINT) % 2 = 0 AND file IN (SELECT file FROM now)")
-def prune_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State rows whose file is still there (here: those with an even id are)."""
-    listing, state = _state(spark, sf_dir)
-    return incremental.prune(state, listing.where(F.col("file").cast("long") % 2 == 0)).select("file", "size")
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS file, n_chars AS size FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-def prune_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prune_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a state, of which the rows stay whose file is in the listing of labels."""
     state, _ = _state(spark, sf_dir)
     listing = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file"))
     return incremental.prune(state, listing).select("file", "size")
 
 
-@query("""
-SELECT doc_id, CASE WHEN NOT starts_with(text, '---') THEN 'error:no frontmatter' ELSE '' END AS findings, NOT starts_with(text, '---') AS failed FROM documents
-""")
-def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1, V5: documents taken as skill documents (none has frontmatter)."""
-    rows = quality.skill_findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    shown = F.array_join(F.transform("findings", lambda f: F.concat(f["level"], F.lit(":"), f["msg"])), ";")
-    return rows.select("doc_id", shown.alias("findings"), quality.has_error(F.col("findings")).alias("failed"))
-
-
 @query("""
 SELECT conv_id AS session, CAST(count(*) AS BIGINT) AS n_calls, arg_min(text, turn) AS first_text, arg_max(text, turn) AS last_text,
   CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS answers FROM conversations GROUP BY conv_id

@@ -17,26 +17,43 @@ SETTINGS = ["settings.json", "settings.local.json", "remote-settings.json"]
 POLICY_SETTINGS = ["settings.json", "settings.local.json", "managed-settings.json", "remote-settings.json"]
 
 
+def _from(items: Column, start) -> Column:
+    """The items from a place on, however many."""
+    return F.slice(items, start, F.greatest(F.size(items), F.lit(1)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _value(x: Column) -> Column:
+    """What stands after the colon: a quoted text, a list (its items joined by ', '), or plain."""
+    raw = F.trim(F.substr(x, F.instr(x, ":") + 1))
+    inner = F.substr(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0)))
+    quoted = raw.rlike(r"""(?s)^(["']).*\1$""") & (F.length(raw) >= 2)
+    items = F.filter(F.split(inner, ","), lambda v: F.trim(v) != "")
+    listed = F.array_join(F.transform(items, lambda v: F.regexp_replace(F.trim(v), r"""^["']+|["']+$""", "")), ", ")
+    return F.when(quoted, inner).when(raw.rlike(r"(?s)^\[.*\]$"), listed).otherwise(raw)
+
+
 def frontmatter(text: Column) -> Column:
-    """Struct (meta map<string,string>, body); lists are written as their items joined by ', '."""
+    """Struct (meta map<string,string>, body)."""
     clean = F.regexp_replace(text, "^﻿+", "")
-    lines = F.split(clean, TEXT_LINES)
-    end = F.array_position(F.transform(F.slice(lines, 2, 1_000_000), lambda x: F.trim(x) == "---"), True).cast("int")
-    has = F.startswith(clean, F.lit("---")) & (F.trim(lines[0]) == "---") & (end > 0)
-    own = F.filter(F.slice(lines, 2, F.greatest(end - 1, F.lit(0))), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit("#")) & F.contains(x, F.lit(":")))
-
-    def value(x: Column) -> Column:
-        raw = F.trim(F.substr(x, F.instr(x, ":") + 1))
-        quoted = raw.rlike(r"""(?s)^(["']).*\1$""") & (F.length(raw) >= 2)
-        items = F.filter(F.split(F.substr(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0))), ","), lambda v: F.trim(v) != "")
-        listed = F.array_join(F.transform(items, lambda v: F.regexp_replace(F.trim(v), r"""^["']+|["']+$""", "")), ", ")
-        return F.when(quoted, F.substr(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0)))).when(raw.rlike(r"(?s)^\[.*\]$"), listed).otherwise(raw)
-
-    pairs = F.transform(own, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), value(x).alias("v")))
-    # of a repeated key the last value counts
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, 1_000_000), lambda q: q["k"] == p["k"]))
     empty = F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))
-    return F.struct(F.when(has, F.map_from_entries(last)).otherwise(empty).alias("meta"), F.when(has, F.array_join(F.slice(lines, end + 2, 1_000_000), "\n")).otherwise(clean).alias("body"))
+
+    def parsed(lines: Column) -> Column:
+        closed = F.when(F.trim(lines[0]) == "---", F.array_position(F.transform(_from(lines, 2), lambda x: F.trim(x) == "---"), True).cast("int")).otherwise(0)
+        return _let(F.coalesce(closed, F.lit(0)), lambda end: F.when(end > 0, between(lines, end)).otherwise(F.struct(empty.alias("meta"), clean.alias("body"))))
+
+    def between(lines: Column, end: Column) -> Column:
+        own = F.filter(F.slice(lines, 2, F.greatest(end - 1, F.lit(0))), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit("#")) & F.contains(x, F.lit(":")))
+        pairs = F.transform(own, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), _value(x).alias("v")))
+        # of a repeated key the last value counts
+        last = _let(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(_from(all_, i + 2), lambda q: q["k"] == p["k"])))
+        return F.struct(F.map_from_entries(last).alias("meta"), F.array_join(_from(lines, end + 2), "\n").alias("body"))
+
+    return F.when(F.startswith(clean, F.lit("---")), _let(F.split(clean, TEXT_LINES), parsed)).otherwise(F.struct(empty.alias("meta"), clean.alias("body")))
 
 
 def skills(spark: SparkSession, root: str) -> DataFrame:
@@ -72,8 +89,12 @@ def project_rules(projects: list[str]) -> list[dict]:
 def known_tokens(skill_rows: DataFrame, hook_rows: DataFrame) -> list[str]:
     """Distinct lower-case words of all skills and hooks (at most MOST_SKILLS descriptions of 400 characters)."""
     texts = skill_rows.select(F.concat_ws(" ", "name", "description").alias("t")).unionByName(hook_rows.select(F.concat_ws(" ", "matcher", "event").alias("t")))
-    words = texts.select(F.explode(F.split(F.lower("t"), "[^a-z0-9]+")).alias("w")).where("w <> ''").distinct()
-    return sorted(r.w for r in words.collect())
+    return sorted(r.w for r in token_bag(texts).collect())
+
+
+def token_bag(texts: DataFrame) -> DataFrame:
+    """w: the distinct lower-case words of texts (t)."""
+    return texts.select(F.explode(F.split(F.lower("t"), "[^a-z0-9]+")).alias("w")).where("w <> ''").distinct()
 
 
 def policy(root: str) -> tuple[bool, str | None]:
@@ -128,3 +149,8 @@ def safe_relative(path: str) -> bool:
     """A relative path that stays below its base, with either separator."""
     parts = re.split(r"[\\/]+", path)
     return bool(path) and not re.match(r"[A-Za-z]:|[\\/]", path) and ".." not in parts
+
+
+def is_safe_relative(path: Column) -> Column:
+    """T14 on a column."""
+    return (path != "") & ~path.rlike(r"^(?:[A-Za-z]:|[\\/])") & ~F.array_contains(F.split(path, r"[\\/]+"), "..")

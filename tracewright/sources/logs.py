@@ -72,7 +72,11 @@ def _text(v: Column, path: str) -> Column:
 
 def transcript_files(spark: SparkSession, root: str, since_ms: int | None = None) -> DataFrame:
     """Session files under projects/, nested ones too, with their project folder."""
-    files = whole_files(spark, f"{root}/projects", "*.jsonl", True, since_ms)
+    return with_project(whole_files(spark, f"{root}/projects", "*.jsonl", True, since_ms))
+
+
+def with_project(files: DataFrame) -> DataFrame:
+    """The folder below projects/ that a session file stands in."""
     return files.withColumn("project_dir", F.regexp_extract("file", r".*?/projects/([^/]+)", 1))
 
 
@@ -162,10 +166,9 @@ def error_fixes(events: DataFrame) -> DataFrame:
     return _numbered(next_after_error(events.select("session", "segments", "ln", "pos", "kind", "item"), order=("ln", "pos")), MOST_PAIRS)
 
 
-def prompts(spark: SparkSession, root: str, since_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(prompts in the window, all records that have a prompt); NULL times pass the window (F2)."""
-    files = whole_files(spark, f"{root}/history.jsonl", "*", False)
-    rows = json_lines(files).where(F.try_variant_get("v", "$.display", "variant").isNotNull())
+def prompt_rows(lines: DataFrame, since_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """S6 on JSON lines (ln, v): (prompts in the window, all records that have a prompt); NULL times pass the window (F2)."""
+    rows = lines.where(F.try_variant_get("v", "$.display", "variant").isNotNull())
     rows = rows.select(F.col("ln").alias("ord"), epoch_ms(F.try_variant_get("v", "$.timestamp", "variant")).alias("ts"), tx.strip(F.coalesce(F.try_variant_get("v", "$.display", "string"), F.lit("None"))).alias("display"), _text(F.col("v"), "$.project").alias("project"))
     kept = rows if since_ms is None else rows.where(F.col("ts").isNull() | (F.col("ts") >= since_ms))
     kept = kept.where("display <> ''").withColumn("_clean", scrub(F.col("display")))
@@ -176,6 +179,11 @@ def prompts(spark: SparkSession, root: str, since_ms: int | None = None) -> tupl
     return kept, rows
 
 
+def prompts(spark: SparkSession, root: str, since_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``prompt_rows`` of the prompt log of a folder."""
+    return prompt_rows(json_lines(whole_files(spark, f"{root}/history.jsonl", "*", False)), since_ms)
+
+
 def parse_plans(files: DataFrame) -> DataFrame:
     """Title, key, headings, step lines and words of Markdown documents (file, segments, text)."""
     lines = F.filter(F.split("text", TEXT_LINES), lambda x: F.lit(True))
