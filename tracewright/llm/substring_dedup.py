@@ -23,7 +23,6 @@ they are.  Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -337,11 +336,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     full = full.withColumn("uid", F.xxhash64(F.lit(1), "doc_id", "text"))
 
     dealt = _anchor_rows(full, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    marked = cut(_classes(dealt, parts))
-    # the driver's last references to the shuffle files of the anchors end here, and so do the files
-    del dealt
-    gc.collect()
-    spark._jvm.System.gc()
+    marked = cut(_classes(dealt, parts))  # the shuffle files of the anchors go with it
 
     def bucket_of(batches):
         for batch in batches:
