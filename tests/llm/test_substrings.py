@@ -55,3 +55,9 @@ def test_edges(spark, edge_docs, no_docs):
     twice = spark.createDataFrame([(1, "x" * 150)] * 2 + [(None, "y" * 120), (2, "y" * 120)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_removed) for r in sd.dedup_substrings(twice).collect())
     assert got == [("1", 149), ("1", 149), ("2", 120), ("None", 119)]
+
+
+def test_classes_need_both_hashes_equal():
+    rows = {"gram": [5, 5, 5, 6], "context": [1, 2, 1, 1], "doc": [1, 2, 3, 4], "uid": [1, 2, 3, 4], "first": [0, 0, 0, 0]}
+    firsts, again = sd._firsts({k: np.array(v, np.uint64 if k in ("gram", "context") else np.int64) for k, v in rows.items()})
+    assert sorted(firsts.tolist()) == [0, 1, 3] and again.tolist() == [2]

@@ -81,9 +81,9 @@ def _by_key(key: np.ndarray, n: int, salt: int) -> np.ndarray:
 
 def _firsts(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of anchor rows: the first occurrence of each class, and the rows that come later."""
-    key = mix(a["gram"] + mix(a["context"]))
-    order = np.lexsort((a["first"], a["uid"], a["doc"], key))
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
+    order = np.lexsort((a["first"], a["uid"], a["doc"], a["context"], a["gram"]))
+    gram, context = a["gram"][order], a["context"][order]  # both hashes tell classes apart, 128 bits
+    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]) if len(order) else np.zeros(0, bool)
     firsts = order[new]
     own = firsts[np.cumsum(new) - 1] if len(order) else order  # by place in order: the first of the class
     again = ~new & ~((a["uid"][order] == a["uid"][own]) & (a["first"][order] == a["first"][own]))
