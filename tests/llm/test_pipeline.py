@@ -80,3 +80,9 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_minhash_stage_keeps_clashing_columns(spark, folder):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, None, "z")], "doc_id long, text string, _text string")
+    kept = dict(pipeline.STAGES)["minhash"](spark, docs, folder)
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r._text) for r in kept.collect()) == [("1", "x"), ("None", "z")]
