@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._blocks import confirmed_links, in_blocks
+from tracewright.llm._blocks import Block, block_links, confirmed_links, in_blocks
 from tracewright.llm._spark import Shelf, components, cut, text_batches
 from tracewright.llm._words import U, mix, shingles, words
 
@@ -110,6 +110,11 @@ def _likely(sets: list[np.ndarray], percent: int) -> Callable:
     return lambda y: 100 * np.minimum(sizes, sizes[y]) >= percent * np.maximum(sizes, sizes[y])
 
 
+def _set_links(blocks: list[Block], percent: int) -> list[tuple]:
+    similar, likely = functools.partial(_similar, percent=percent), functools.partial(_likely, percent=percent)
+    return [link for b in blocks for link in block_links(*b, similar, likely)]
+
+
 def _links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """(src, dst): confirmed links between classes, enough to connect all that are linked."""
     ties = classes.select("node", F.explode("bands").alias("band"))
@@ -118,7 +123,7 @@ def _links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: in
     members = in_blocks(groups.withColumnRenamed("component_id", "group"), BLOCK).join(classes.select("node", "at"), "node")
     texts = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_key"), docs[text].alias("text"))
     rows = members.join(texts, F.col("at.doc_id").eqNullSafe(F.col("_id")) & (F.col("at.text_key") == F.col("_key")))
-    return confirmed_links(rows, functools.partial(_sets, size=size), functools.partial(_similar, percent=percent), functools.partial(_likely, percent=percent))
+    return confirmed_links(rows, functools.partial(_sets, size=size), functools.partial(_set_links, percent=percent))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._spark import cut, hash_share, text_batches
+from tracewright.llm._spark import cut, hash_share, text_batches, trimmed
 
 # Characters that look like Latin letters, and digits or signs used for letters.
 HOMOGLYPHS = {
@@ -136,7 +136,7 @@ def _families(rows: DataFrame) -> DataFrame:
         for batch in text_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([family(t) for t in batch.column(0).to_pylist()], pa.int64())], ["text", "toxic", "family"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "text string, toxic int, family bigint").groupBy("family", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    return rows.select("text", "toxic").mapInArrow(trimmed(run), "text string, toxic int, family bigint").groupBy("family", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
@@ -163,7 +163,7 @@ def _counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             columns = [pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["feature", "n", "times"])
 
-    counted = rows.select("text").mapInArrow(run, "feature string, n bigint, times bigint")
+    counted = rows.select("text").mapInArrow(trimmed(run), "feature string, n bigint, times bigint")
     return counted.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
@@ -232,7 +232,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
                 out += [(p, int(toxic == 1)) for p in phrases]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([t for _, t in out], pa.int64())], ["phrase", "toxic"])
 
-    seen = sample.mapInArrow(run, "phrase string, toxic bigint").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    seen = sample.mapInArrow(trimmed(run), "phrase string, toxic bigint").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     return [r.phrase for r in seen.where("t = 0 and c >= 3").orderBy("phrase").collect()]
 
 
@@ -264,7 +264,7 @@ def _weighed(rows: DataFrame, lexicon: Lexicon, key: str, field_: str) -> DataFr
             scores = [lexicon.score(w, n) for w, n in zip(weights, words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64())], [key, "weight", "words", "score"])
 
-    return rows.mapInArrow(run, f"{field_}, weight double, words bigint, score double")
+    return rows.mapInArrow(trimmed(run), f"{field_}, weight double, words bigint, score double")
 
 
 def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,4 +286,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", limit: flo
                 keep.append(lexicon.score(weigh(automaton, folded), max(0, folded.count(" ") - 1)) < limit)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
