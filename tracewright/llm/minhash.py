@@ -123,7 +123,8 @@ def _links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: in
     members = in_blocks(groups.withColumnRenamed("component_id", "group"), BLOCK).join(classes.select("node", "at"), "node")
     texts = docs.select(docs[doc_id].alias("_id"), F.xxhash64(docs[text]).alias("_key"), docs[text].alias("text"))
     rows = members.join(texts, F.col("at.doc_id").eqNullSafe(F.col("_id")) & (F.col("at.text_key") == F.col("_key")))
-    return confirmed_links(rows, functools.partial(_sets, size=size), functools.partial(_set_links, percent=percent))
+    rows = rows.select("node", "group", "blocks", "block", "text")
+    return confirmed_links(rows, lambda batch: _sets(batch.column("text"), size), functools.partial(_set_links, percent=percent))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
