@@ -51,3 +51,18 @@ def test_texts_that_share_an_id(spark):
     assert sorted(got[None]) == [(108 + i, False) for i in range(8)]
     for i in range(16):
         assert got[100 + i] == ([(1, False)] if i < 8 else [(108 + i - 8, True)])
+
+
+def test_memory_of_a_slice(spark, monkeypatch):
+    """Texts are hashed in slices of 256 KB, and a worker gives its memory back when a task ends."""
+    import ctypes
+
+    from tracewright.llm import _spark
+
+    called = []
+    monkeypatch.setattr(ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": lambda self, n: called.append(n)})())
+    assert list(_spark.trimmed(lambda batches: (b * 2 for b in batches))([1, 2])) == [2, 4] and called == [0]
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 1000)], ["text"])
+    assert max(b.num_rows for b in _spark.text_batches([texts], "text", 1 << 18)) == 262

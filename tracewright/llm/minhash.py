@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm._blocks import Block, block_links, confirmed_links, in_blocks
-from tracewright.llm._spark import Shelf, components, cut, text_batches
+from tracewright.llm._spark import Shelf, components, cut, text_batches, trimmed
 from tracewright.llm._words import U, mix, shingles, words
 
 BANDS, BLOCK = 24, 256
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        for batch in text_batches(batches, "text", 1 << 20):
+        for batch in text_batches(batches, "text", 1 << 18):
             sets = _sets(batch.column(1), size)
             keys = [set_keys(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
             )
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, n_shingles bigint, k0 bigint, k1 bigint, bands array<bigint>")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, text_key bigint, n_shingles bigint, k0 bigint, k1 bigint, bands array<bigint>")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewright.llm._spark import text_batches
+from tracewright.llm._spark import text_batches, trimmed
 
 #: Outside of these characters the library's own normaliser and pre-tokeniser are used: inside, NFC
 #: changes nothing, lower-casing works character by character, and white space is what str.split() takes.
@@ -315,4 +315,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(trimmed(run), schema)
