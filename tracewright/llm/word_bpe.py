@@ -89,8 +89,6 @@ class TrieBPE:
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
         self.old: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
-        self.known: dict[str, list[int]] = {}  # words with their encodings, and those of the generation before
-        self.known_before: dict[str, list[int]] = {}
 
     def made_at(self, token: int) -> int:
         return self.parts[token][0] if token in self.parts else -1
@@ -132,62 +130,52 @@ class TrieBPE:
         return out
 
     def _walk(self, words: list[str], out: dict[str, list[int]]) -> None:
-        # in sorted order the trie's nodes are met depth first, so only the states on the path to the
-        # current word are held: the last token of each node, and its length; at 0 is the root
-        token_at, length_at, before = [-1], [0], ""
-        inner, inner_lengths = self.inner.get, self.inner_lengths.get
-        final, final_lengths = self.final.get, self.final_lengths.get
+        child: dict[tuple[int, str], int] = {}  # the trie: (node, character) -> node; 0 is the root
+        token_at, length_at = [-1], [0]  # a node's state: the last token and its length
+        nodes, before = [0], ""  # nodes: the path to the current word
+        inner, inner_lengths = self.inner, self.inner_lengths
         fits, compatible = self.fits, self.compatible
         if len(fits) > 1_000_000:
             fits.clear()
-        known = fits.get
-        for word in words:
+        for word in words:  # in sorted order the nodes are made, and their states set, depth first
             size, shared = len(word), 0
             for x, y in zip(word, before):
                 if x != y:
                     break
                 shared += 1
-            shared = min(shared, len(token_at) - 1, size - 1)
-            del token_at[shared + 1 :], length_at[shared + 1 :]
-            for depth in range(shared + 1, size):
-                for n in inner_lengths(word[depth - 4 : depth], SHORT) if depth >= 4 else STARTS[depth]:
+            shared = min(shared, len(nodes) - 1, size - 1)
+            del nodes[shared + 1 :]
+            for depth in range(shared + 1, size + 1):
+                if depth == size:
+                    tokens, longer = self.final, self.final_lengths
+                else:
+                    tokens, longer = inner, inner_lengths
+                for n in longer.get(word[depth - 4 : depth], SHORT) if depth >= 4 else STARTS[depth]:
                     if n > depth:
                         continue
-                    token = inner(word[depth - n : depth])
+                    token = tokens.get(word[depth - n : depth])
                     if token is None:
                         continue
                     if n == depth:
                         break
-                    pair = token_at[depth - n] << 20 | token
-                    fit = known(pair)
+                    last = token_at[nodes[depth - n]]
+                    fit = fits.get(last << 20 | token)
                     if fit is None:
-                        fit = fits[pair] = compatible(token_at[depth - n], token)
+                        fit = fits[last << 20 | token] = compatible(last, token)
                     if fit:
                         break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
-                token_at.append(token)
-                length_at.append(n)
-            for n in final_lengths(word[size - 4 :], SHORT) if size >= 4 else STARTS[size]:
-                if n > size:
-                    continue
-                token = final(word[size - n :])
-                if token is None:
-                    continue
-                if n == size:
-                    break
-                pair = token_at[size - n] << 20 | token
-                fit = known(pair)
-                if fit is None:
-                    fit = fits[pair] = compatible(token_at[size - n], token)
-                if fit:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+                if depth < size:
+                    node = child[nodes[-1], word[depth - 1]] = len(token_at)
+                    token_at.append(token)
+                    length_at.append(n)
+                    nodes.append(node)
             ids, depth = [token], size - n
             while depth:
-                ids.append(token_at[depth])
-                depth -= length_at[depth]
+                node = nodes[depth]
+                ids.append(token_at[node])
+                depth -= length_at[node]
             ids.reverse()
             out[word] = ids
             before = word
@@ -205,20 +193,6 @@ class TrieBPE:
         made = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return ["\0" + w for w in (bytes(back[c] for c in w).decode("utf-8") for w, _ in made)]  # NUL: one word, not to be cut again
 
-    def known_words(self, words: set[str]) -> dict[str, list[int]]:
-        """Encodings of words, newly made where unknown; short ones are kept."""
-        if len(self.known) > self.KEEP:
-            self.known, self.known_before = {}, self.known
-        known, made = self.known, {}
-        for w in words & self.known_before.keys():
-            known[w] = self.known_before[w]
-        for w in words & known.keys():
-            made[w] = known[w]
-        new = self.encode_words(words - made.keys())
-        known.update((w, ids) for w, ids in new.items() if len(w) <= self.KEEP_CHARS)
-        made.update(new)
-        return made
-
     def learn(self, chunks: set[str]) -> tuple[dict[str, bytes], dict[str, str]]:
         """Ids (little-endian uint32) and token texts of chunks, newly encoded where unknown."""
         if len(self.ids) > self.KEEP:  # two generations: what is used again moves to the younger one
@@ -234,7 +208,7 @@ class TrieBPE:
                 spelled[c] = (c,) if c.isalpha() else find(c)
             else:
                 spelled[c] = [w.encode("utf-8").decode("latin-1").translate(spelling) for w in ((c[1:],) if c[0] == "\0" else find(c))]
-        made = self.known_words({w for ws in spelled.values() for w in ws})
+        made = self.encode_words({w for ws in spelled.values() for w in ws})
         ids, shown, text_of = self.ids, self.shown, self.text_of
         long = {}
         for chunk, ws in spelled.items():
