@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tracewright.llm import substring_dedup as sd
 from tracewright.llm._suffix_array import permuted_common_prefixes, suffix_array
@@ -61,3 +64,21 @@ def test_classes_need_both_hashes_equal():
     rows = {"gram": [5, 5, 5, 6], "context": [1, 2, 1, 1], "doc": [1, 2, 3, 4], "uid": [1, 2, 3, 4], "first": [0, 0, 0, 0]}
     firsts, again = sd._firsts({k: np.array(v, np.uint64 if k in ("gram", "context") else np.int64) for k, v in rows.items()})
     assert sorted(firsts.tolist()) == [0, 1, 3] and again.tolist() == [2]
+
+
+def test_texts_are_not_copied_where_only_digests_are_asked():
+    table = pa.table({"doc_id": list(range(20)), "uid": list(range(20)), "text": ["x" * 1_000_000] * 20})
+    none = pa.table({"packed": pa.array([], pa.binary())})
+    tracemalloc.start()
+    got = sd._apply(table, none, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("kept_sha256").to_pylist() == [hashlib.sha256(b"x" * 1_000_000).hexdigest()] * 20
+    assert most < 5_000_000
+
+
+def test_a_bucket_of_documents_is_a_partition(spark):
+    full = spark.range(2000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("uid"), F.lit("x").alias("text"))
+    rows = sd._documents(full, 51).select("bucket", "uid", F.spark_partition_id().alias("p")).collect()
+    assert all(r.bucket == r.p for r in rows) and len({r.p for r in rows}) == 51
+    assert sd._of_documents(np.array([r.uid for r in rows], np.int64), 51).tolist() == [r.bucket for r in rows]

@@ -89,14 +89,19 @@ class Shelf:
         self._delete(self.folder)
 
 
+def give_back() -> None:
+    """Give the memory back that this process has freed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU library keeps what is freed
+        trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
     """``run`` for mapInArrow; when a task ends, its worker, which waits for others, gives the memory back that it does not use."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU library keeps what is freed
-            trim(0)
+        give_back()
 
     return wrapped
 

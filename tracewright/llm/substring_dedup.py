@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm._anchors import window_anchors
-from tracewright.llm._spark import cut, shuffle_partitions, text_batches
+from tracewright.llm._spark import cut, give_back, shuffle_partitions, text_batches, trimmed
 from tracewright.llm._suffix_array import permuted_common_prefixes, suffix_array
 from tracewright.llm._words import U, mix, text_bytes
 
@@ -79,6 +79,16 @@ def _by_key(key: np.ndarray, n: int, salt: int) -> np.ndarray:
     return (mix(key.view(U) + U(salt)) % U(n)).astype(np.int64)
 
 
+def _of_documents(uid: np.ndarray, n: int) -> np.ndarray:
+    """The buckets of documents, as in ``_documents``."""
+    return np.mod(uid.astype(np.int64), n)
+
+
+def _documents(full: DataFrame, parts: int) -> DataFrame:
+    """Texts by bucket.  A bucket is a partition: hashed to partitions, six of 51 met in one."""
+    return full.select(F.pmod("uid", F.lit(parts)).cast("int").alias("bucket"), "doc_id", "uid", "text").repartitionById(parts, F.col("bucket"))
+
+
 def _firsts(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of anchor rows: the first occurrence of each class, and the rows that come later."""
     order = np.lexsort((a["first"], a["uid"], a["doc"], a["context"], a["gram"]))
@@ -132,7 +142,7 @@ def _anchor_rows(texts: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield _batch(deal())
 
-    return texts.select("doc", "uid", "text").mapInArrow(run, _PACKED)
+    return texts.select("doc", "uid", "text").mapInArrow(trimmed(run), _PACKED)
 
 
 def _classes(dealt: DataFrame, doc_buckets: int) -> DataFrame:
@@ -158,7 +168,7 @@ def _classes(dealt: DataFrame, doc_buckets: int) -> DataFrame:
             out = []
             for kind, parts, what in ((SPAN, spans, 1), (WANTED, wanted, 2)):
                 table = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in kind}
-                out += _dealt(table, kind, _by_key(table["uid"].astype(np.int64), doc_buckets, 3), what)
+                out += _dealt(table, kind, _of_documents(table["uid"], doc_buckets), what)
             return _batch(out)
 
         for batch in batches:
@@ -179,7 +189,7 @@ def _classes(dealt: DataFrame, doc_buckets: int) -> DataFrame:
             finish()
         yield deal()
 
-    return dealt.mapInArrow(run, _PACKED)
+    return dealt.mapInArrow(trimmed(run), _PACKED)
 
 
 def _fetch(texts: pa.Table, asked: pa.Table, shards: int) -> pa.Table:
@@ -188,26 +198,27 @@ def _fetch(texts: pa.Table, asked: pa.Table, shards: int) -> pa.Table:
     order = np.argsort(want["uid"], kind="stable")
     want = _take(want, order)
     pieces, rows = [], []
-    uids = texts.column("uid").to_numpy()
     seen = set()
-    for i, uid in enumerate(uids.tolist()):
-        a, b = np.searchsorted(want["uid"], [uid, uid + 1] if uid < (1 << 63) - 1 else [uid, uid])
-        if uid >= (1 << 63) - 1:
-            b = len(want["uid"])
-        if a == b or uid in seen:
-            continue
-        seen.add(uid)
-        raw = texts.column("text")[i].as_py().encode("utf-8")
-        for k in range(a, b):
-            f = int(want["first"][k])
-            pieces.append(raw[f : f + int(want["size"][k])])
-            rows.append(k)
+    for batch in texts.to_batches():
+        raw, at = text_bytes(batch.column("text"))
+        uids = batch.column("uid").to_numpy()
+        for uid, begin, a, b in zip(uids.tolist(), at.tolist(), np.searchsorted(want["uid"], uids).tolist(), np.searchsorted(want["uid"], uids, "right").tolist()):
+            if a == b or uid in seen:
+                continue
+            seen.add(uid)
+            for k in range(a, b):
+                f = begin + int(want["first"][k])
+                pieces.append(raw[f : f + int(want["size"][k])].tobytes())
+                rows.append(k)
     got = _take(want, np.array(rows, np.int64))
     shard = _by_key(got["gram"], shards, 4)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     out = [(s, _pack(got, PIECE, order[a:b]) + b"".join([pieces[k] for k in order[a:b]])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-    return pa.table({"shard": pa.array([s for s, _ in out], pa.int32()), "packed": pa.array([p for _, p in out], pa.binary())})
+    found = pa.table({"shard": pa.array([s for s, _ in out], pa.int32()), "packed": pa.array([p for _, p in out], pa.binary())})
+    del pieces, got, out
+    give_back()
+    return found
 
 
 def repeated_windows(pieces: list[bytes], doc: np.ndarray, uid: np.ndarray, first: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,9 +296,9 @@ def _shard_spans(pieces: DataFrame, doc_buckets: int) -> DataFrame:
         if held:
             spans += spans_of(held)
         table = {k: np.concatenate([s[k] for s in spans]) if spans else np.zeros(0, t) for k, t in SPAN}
-        yield _batch(_dealt(table, SPAN, _by_key(table["uid"].astype(np.int64), doc_buckets, 3), 1))
+        yield _batch(_dealt(table, SPAN, _of_documents(table["uid"], doc_buckets), 1))
 
-    return pieces.mapInArrow(run, _PACKED)
+    return pieces.mapInArrow(trimmed(run), _PACKED)
 
 
 def kept_spans(n_bytes: int, start: np.ndarray, end: np.ndarray) -> tuple[list[tuple[int, int]], int, int]:
@@ -310,18 +321,23 @@ def _apply(texts: pa.Table, marked: pa.Table, texts_too: bool) -> pa.Table:
     start = spans["start"][order].astype(np.int64)
     end = start + spans["size"][order]
     out = []
-    for i, own in enumerate(texts.column("uid").to_pylist()):
-        raw = texts.column("text")[i].as_py().encode("utf-8")
-        a, b = np.searchsorted(uid, own, "left"), np.searchsorted(uid, own, "right")
-        keep, removed, runs = kept_spans(len(raw), start[a:b], end[a:b])
-        rest = raw if not runs else b"".join([raw[x:y] for x, y in keep])
-        out.append((len(raw), removed, runs, hashlib.sha256(rest).hexdigest(), rest))
+    for batch in texts.to_batches():
+        raw, at = text_bytes(batch.column("text"))
+        for own, begin, stop in zip(batch.column("uid").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            a, b = np.searchsorted(uid, own, "left"), np.searchsorted(uid, own, "right")
+            keep, removed, runs = kept_spans(stop - begin, start[a:b], end[a:b])
+            rest, digest = [raw[begin + x : begin + y] for x, y in keep], hashlib.sha256()
+            for piece in rest:
+                digest.update(piece)
+            out.append((stop - begin, removed, runs, digest.hexdigest(), b"".join(rest) if texts_too else None))
     columns = {"doc_id": texts.column("doc_id")}
     for i, name in enumerate(["n_bytes", "n_removed", "n_spans"]):
         columns[name] = pa.array([o[i] for o in out], pa.int64())
     columns["kept_sha256"] = pa.array([o[3] for o in out], pa.string())
     if texts_too:
         columns["kept"] = pa.array([o[4] for o in out], pa.binary())
+    del out
+    give_back()
     return pa.table(columns)
 
 
@@ -338,15 +354,10 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     dealt = _anchor_rows(full, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
     marked = cut(_classes(dealt, parts))  # the shuffle files of the anchors go with it
 
-    def bucket_of(batches):
-        for batch in batches:
-            where = _by_key(batch.column(1).to_numpy(), parts, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *batch.columns], ["bucket", *batch.schema.names])
-
-    by_document = full.select("doc_id", "uid", "text").mapInArrow(bucket_of, f"bucket int, doc_id {kind}, uid bigint, text string")
-    wanted = marked.where("what = 2")
+    by_document = _documents(full, parts)
+    wanted = marked.where("what = 2").repartitionById(parts, F.col("bucket"))
     pieces = by_document.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(lambda t, w: _fetch(t, w, shards), "shard int, packed binary")
     pieces = pieces.repartition(parts, "shard").sortWithinPartitions("shard")
-    spans = marked.where("what = 1").unionByName(_shard_spans(pieces, parts))
+    spans = marked.where("what = 1").unionByName(_shard_spans(pieces, parts)).repartitionById(parts, F.col("bucket"))
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if texts else "")
     return by_document.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(lambda t, m: _apply(t, m, texts), schema)
