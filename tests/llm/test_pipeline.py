@@ -86,3 +86,14 @@ def test_minhash_stage_keeps_clashing_columns(spark, folder):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, None, "z")], "doc_id long, text string, _text string")
     kept = dict(pipeline.STAGES)["minhash"](spark, docs, folder)
     assert kept.columns == docs.columns and sorted((str(r.doc_id), r._text) for r in kept.collect()) == [("1", "x"), ("None", "z")]
+
+
+def test_stages_shrink_the_heaps(spark, folder):
+    def full_collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        before = full_collections()
+        stage(spark, docs, folder)
+        assert full_collections() > before, name

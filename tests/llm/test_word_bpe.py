@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tracewright.llm import word_bpe as wb  # noqa: E402
+from tracewright.llm._spark import trimmed  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,3 +57,22 @@ def test_query_and_edges(spark, edge_docs, no_docs):
     for r in rows:
         packed = b"".join(i.to_bytes(4, "little") for i in r.ids)
         assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(packed).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+
+
+def test_long_chunks_are_not_kept_and_copy_nothing():
+    bpe = wb.TrieBPE(PATH)
+    bpe.encode_texts([" ".join(f"w{i}" for i in range(50_000))])
+    kept, long = set(bpe.ids), "x" * 60
+    tracemalloc.start()
+    (packed, shown), again = bpe.encode_texts([long + " w1", long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = bpe.library.encode(long, add_special_tokens=False).ids
+    assert again[0] == b"".join(i.to_bytes(4, "little") for i in ids) and packed.startswith(again[0]) and shown.startswith(again[1])
+    assert set(bpe.ids) == set(bpe.shown) == kept and peak < 500_000  # a copy of the kept ones has megabytes
+
+
+def test_tasks_of_other_operators_let_the_encoder_go():
+    bpe = wb.encoder(PATH)
+    assert list(trimmed(iter, uses=wb.encoder)([])) == [] and wb.encoder(PATH) is bpe
+    assert list(trimmed(iter)([])) == [] and wb.encoder.cache_info().currsize == 0

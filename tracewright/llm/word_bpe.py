@@ -22,13 +22,12 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewright.llm._spark import text_batches, trimmed
+from tracewright.llm._spark import keeper, text_batches, trimmed
 
 #: Outside of these characters the library's own normaliser and pre-tokeniser are used: inside, NFC
 #: changes nothing, lower-casing works character by character, and white space is what str.split() takes.
@@ -193,8 +192,8 @@ class TrieBPE:
         made = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return ["\0" + w for w in (bytes(back[c] for c in w).decode("utf-8") for w, _ in made)]  # NUL: one word, not to be cut again
 
-    def learn(self, chunks: set[str]) -> tuple[dict[str, bytes], dict[str, str]]:
-        """Ids (little-endian uint32) and token texts of chunks, newly encoded where unknown."""
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Puts ids (little-endian uint32) and token texts of chunks, newly encoded where unknown, into ``ids`` and ``shown``; returns the new ones that are too long to be kept."""
         if len(self.ids) > self.KEEP:  # two generations: what is used again moves to the younger one
             self.old, self.ids, self.shown = (self.ids, self.shown), {}, {}
         new = chunks - self.ids.keys()
@@ -210,20 +209,16 @@ class TrieBPE:
                 spelled[c] = [w.encode("utf-8").decode("latin-1").translate(spelling) for w in ((c[1:],) if c[0] == "\0" else find(c))]
         made = self.encode_words({w for ws in spelled.values() for w in ws})
         ids, shown, text_of = self.ids, self.shown, self.text_of
-        long = {}
+        long = []
         for chunk, ws in spelled.items():
             row = made[ws[0]] if len(ws) == 1 else [i for w in ws for i in made[w]]
             if len(chunk) > self.KEEP_CHARS:
-                long[chunk] = None
+                long.append(chunk)
             ids[chunk] = struct.pack(f"<{len(row)}I", *row)
             shown[chunk] = " ".join([text_of[i] for i in row])
-        if long:  # used for these texts, not kept
-            ids, shown = dict(ids), dict(shown)
-            for chunk in long:
-                del self.ids[chunk], self.shown[chunk]
-        return ids, shown
+        return long
 
-    def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
+    def encode_texts(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Packed ids and decoded text of every text."""
         found = []
         for text in texts:
@@ -234,10 +229,14 @@ class TrieBPE:
                 else:
                     pieces.append(self.chunks(part))
             found.append(pieces)
-        ids, shown = self.learn({c for pieces in found for p in pieces if isinstance(p, list) for c in p})
+        long = self.learn({c for pieces in found for p in pieces if isinstance(p, list) for c in p})
+        ids, shown, out = self.ids, self.shown, []
         for pieces in found:
             packed = b"".join(self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(ids.__getitem__, p)) for p in pieces)
-            yield packed, " ".join(x for p in pieces for x in ([p] if isinstance(p, str) else [" ".join(map(shown.__getitem__, p))]) if x)
+            out.append((packed, " ".join(x for p in pieces for x in ([p] if isinstance(p, str) else [" ".join(map(shown.__getitem__, p))]) if x)))
+        for chunk in long:
+            del ids[chunk], shown[chunk]
+        return out
 
 
 def byte_characters() -> list[str]:
@@ -256,6 +255,7 @@ def _lengths(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
     return {k: (*sorted(v, reverse=True), *SHORT) for k, v in found.items()}
 
 
+@keeper
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> TrieBPE:
     return TrieBPE(path)
@@ -274,7 +274,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         bpe = encoder(tokenizer_path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in text_batches(batches, "text"):
-            rows = list(bpe.encode_texts(batch.column(1).to_pylist()))
+            rows = bpe.encode_texts(batch.column(1).to_pylist())
             columns = [
                 batch.column(0),
                 pa.array([len(p) // 4 for p, _ in rows], pa.int64()),
@@ -289,4 +289,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(trimmed(run), schema)
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(trimmed(run, uses=encoder), schema)
